@@ -1,10 +1,11 @@
 """Keyword stuffing, link lists and tag lists.
 
-A page is judged by what is left of it without commit and diff headers. Lines that are there
-several times count once, which keeps repeated code and test data from looking like stuffing.
-From the rest come the shares of the top words and word pairs, the share of repeated lines, the
-share of characters in links, the number of hosts a link, the density of separators, and the
-share of function words; thresholds on them are given by language.
+A page is judged by what is left of it without commit and diff headers, every line as often as it
+is there; only a line that a diff removes and adds again, blanks apart, counts once. From it come
+the shares of the top words and word pairs, the share of repeated lines, the share of characters in
+links, the number of hosts a link, the density of separators, and the share of function words;
+thresholds on them are given by language. Repeated code and test data are told from stuffing by
+their code signs, digits, function words and the share of characters in lines of code or data.
 """
 
 from __future__ import annotations
@@ -53,6 +54,16 @@ _HAN = re.compile(r"[一-鿿]")
 _TAG = re.compile(r"(?:^|\s)#[^\W\d_]\w*|(?:^|\s)#\d+[^\W\d]\w*")
 _SEPARATOR = re.compile(r"[,;|·•/#@–—]| - ")
 _CODE = re.compile(r"[(){}\[\]=<>\"_+*&%$\\`^~]|;$", re.M)
+#: A line of code or data: a comment, a statement, markup, a ``name: value`` or a ``name = value``.
+_CODE_LINE = re.compile(
+    r"(?://|/\*|\*/|#\s|--\s|<!--|[{}\[\]()]|</?[a-z])"
+    r"|(?:- )?[\"']?[a-z_][\w.-]*[\"']?\s*(?::|=|:=|\+=|-=)(?:\s|$)"
+    r"|(?:return|import|yield|raise|throw|await|assert|goto|use|package|let|var|const|def|class|func|fn|public|private"
+    r"|static|void|int) [\w.*(]+(?:$|[ ,;:(.=])"
+    r"|(?:if|elif|while|for|switch|else|try|except|catch)\b.*[:{]$|for \w+ in |from [\w.]+ import |SELECT .* FROM |INSERT INTO "
+    r"|.*(?:[;{}]$|\w\(|\w\[|==|!=|:=|=>|->|::|&&|\|\||</)"
+)
+_DIGIT = re.compile(r"\d")
 
 
 @dataclass(frozen=True)
@@ -62,7 +73,9 @@ class Limits:
     A page is stuffed with keywords if it has at least ``words`` words, its three top words and
     word pairs have the given shares, at most ``variety`` of its words differ (with ``separators`` a
     word, ``separated_variety``), and function words and code signs are at most the given numbers a
-    word; it is a list of links or tags by the rest.
+    word, words with digits and characters in lines of code or data at most the given shares. If
+    ``repeated_lines`` of its lines stand elsewhere in it, its top words and pairs don't matter. It
+    is a list of links or tags by the rest.
     """
 
     words: int = 20
@@ -73,6 +86,9 @@ class Limits:
     separated_variety: float = 0.66
     function_words: float = 0.20
     code: float = 0.25
+    repeated_lines: float = 0.5
+    code_lines: float = 0.5
+    digits: float = 0.6
     links: int = 4
     link_text: float = 0.5
     hosts: float = 0.5
@@ -89,25 +105,40 @@ LIMITS = {
 
 
 def body_lines(text: str) -> list[str]:
-    """Lines without commit and diff headers, diff signs and outer blanks."""
-    lines = []
+    """Lines without commit and diff headers, diff signs and outer blanks.
+
+    A removed line that is added again counts as one, as often as both are there.
+    """
+    lines, removed, added = [], Counter(), Counter()
     for line in text.splitlines():
         if _HEADER.match(line):
             continue
-        if line[:1] in "+-":
+        sign = line[:1]
+        if sign and sign in "+-":
             line = line[1:]
         line = _SUBJECT.sub("", line, count=1) if line.startswith("Subject:") else line
         line = line.strip()
         if line:
-            lines.append(line)
-    return lines
+            lines.append((sign == "-", line))
+            (removed if sign == "-" else added)[line] += sign in "+-"
+    again = removed & added
+    kept = []
+    for gone, line in lines:
+        if gone and again[line] > 0:
+            again[line] -= 1
+        else:
+            kept.append(line)
+    return kept
+
+
+def _visible(text: str) -> int:
+    return len("".join(text.split()))
 
 
 def features(text: str | None) -> dict[str, float]:
     """The measures of one page; all zero without text."""
     lines = body_lines(text or "")
-    kept = list(dict.fromkeys(lines))
-    body = "\n".join(kept)
+    body = "\n".join(lines)
     links = [m.group() for m in _LINK.finditer(body)]
     hosts = {m.group(1).lower() for m in _URL.finditer(body)}
     plain = _MARKUP.sub(" ", body)
@@ -119,20 +150,23 @@ def features(text: str | None) -> dict[str, float]:
     function = sum(map(counts.__getitem__, counts.keys() & _ALL_FUNCTION_WORDS)) + sum(
         c in FUNCTION_CHARACTERS for c in han
     )
-    size = sum(not c.isspace() for c in body)
+    size = _visible(body)
+    in_code = sum(map(_visible, filter(_CODE_LINE.match, lines)))
     return {
         "words": n,
         "top_words": sum(v for _, v in counts.most_common(3)) / n if n else 0.0,
         "top_pairs": sum(v for _, v in pairs.most_common(3)) / n if n else 0.0,
         "variety": len(counts) / n if n else 0.0,
-        "repeated_lines": 1 - len(kept) / len(lines) if lines else 0.0,
+        "repeated_lines": 1 - len(set(lines)) / len(lines) if lines else 0.0,
         "links": len(links),
         "hosts": len(hosts) / len(links) if links else 0.0,
-        "link_text": sum(sum(not c.isspace() for c in x) for x in links) / size if size else 0.0,
+        "link_text": sum(map(_visible, links)) / size if size else 0.0,
         "separators": len(_SEPARATOR.findall(plain)) / n if n else 0.0,
         "tags": len(_TAG.findall(plain)) / n if n else 0.0,
         "function_words": function / (n + len(han)) if n else 0.0,
         "code": len(_CODE.findall(plain)) / n if n else 0.0,
+        "code_lines": in_code / size if size else 0.0,
+        "digits": sum(map(bool, map(_DIGIT.search, words))) / len(words) if words else 0.0,
     }
 
 
@@ -146,8 +180,10 @@ def kind(measures: dict[str, float], lang: str | None = None, limits: dict[str,
     if m["words"] >= at.words // 2 and m["tags"] >= at.tags:
         return "tags"
     variety = at.separated_variety if m["separators"] >= at.separators else at.variety
-    repeated = m["top_words"] >= at.top_words and m["top_pairs"] >= at.top_pairs and m["variety"] <= variety
-    if m["words"] >= at.words and repeated and m["function_words"] <= at.function_words and m["code"] <= at.code:
+    few = m["top_words"] >= at.top_words and m["top_pairs"] >= at.top_pairs
+    repeated = (few or m["repeated_lines"] >= at.repeated_lines) and m["variety"] <= variety
+    data = m["code"] > at.code or m["code_lines"] > at.code_lines or m["digits"] > at.digits
+    if m["words"] >= at.words and repeated and m["function_words"] <= at.function_words and not data:
         return "keywords"
     return None
 
