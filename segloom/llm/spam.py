@@ -3,8 +3,9 @@
 A page is judged by what is left of it without commit and diff headers, every line as often as it
 is there; only a line that a diff removes and adds again, blanks apart, counts once. From it come
 the shares of the top words and word pairs, the share of repeated lines, the share of characters in
-links, the number of hosts a link, the density of separators, and the share of function words;
-thresholds on them are given by language. Repeated code and test data are told from stuffing by
+links, the words a link outside links, the share of links that change notes have, the density of
+separators, and the share of function words; thresholds on them are given by language. The number
+of hosts a link is only measured: a list may lead to one shop. Repeated code and test data are told from stuffing by
 their code signs, digits, function words and the share of characters in lines of code or data.
 """
 
@@ -63,6 +64,17 @@ _CODE_LINE = re.compile(
     r"|(?:if|elif|while|for|switch|else|try|except|catch)\b.*[:{]$|for \w+ in |from [\w.]+ import |SELECT .* FROM |INSERT INTO "
     r"|.*(?:[;{}]$|\w\(|\w\[|==|!=|:=|=>|->|::|&&|\|\||</)"
 )
+#: Links of change notes and lock files: to issues, changes and archives, by number, or as a trailer with a number.
+_WORK_LINK = re.compile(
+    r"\[[^\]\n]*#\d+\]\(|\S*/(?:issues|pulls?|merge_requests|commits?|compare|bugs|browse|tickets?|changes?)/"
+    r"|\S*\.(?:tgz|tar\.\w+|t[bx]z|zip|whl|jar|gem|crate|git|deb|rpm)(?:[#?]\S*)?$",
+    re.I,
+)
+_TRAILER = re.compile(
+    r"(?:Link|See(?:[- ]also)?|Bug|Bug-?Link|Issue|Closes|Fixes|Refs?|References|Reviewed-on|Reported-by|Discussion)"
+    r":?\s+(https?://\S*/[^\s/]*\d[^\s/]*/?)",
+    re.I,
+)
 _DIGIT = re.compile(r"\d")
 
 
@@ -75,7 +87,9 @@ class Limits:
     word, ``separated_variety``), and function words and code signs are at most the given numbers a
     word, words with digits and characters in lines of code or data at most the given shares. If
     ``repeated_lines`` of its lines stand elsewhere in it, its top words and pairs don't matter. It
-    is a list of links or tags by the rest.
+    is a list of links if these have the share ``link_text`` of its characters, with at most
+    ``running`` words between two of them (``sentence_link_text`` if these words have more function
+    words than keywords may), and at most ``work_links`` of them are such as change notes have. It is a list of tags by the rest.
     """
 
     words: int = 20
@@ -91,7 +105,9 @@ class Limits:
     digits: float = 0.6
     links: int = 4
     link_text: float = 0.5
-    hosts: float = 0.5
+    running: float = 3.0
+    sentence_link_text: float = 0.8
+    work_links: float = 0.5
     tags: float = 0.5
 
 
@@ -150,6 +166,11 @@ def features(text: str | None) -> dict[str, float]:
     function = sum(map(counts.__getitem__, counts.keys() & _ALL_FUNCTION_WORDS)) + sum(
         c in FUNCTION_CHARACTERS for c in han
     )
+    rest = _WORD.findall(_LINK.sub(" ", body).lower())
+    sentences = sum(w in _ALL_FUNCTION_WORDS for w in rest)
+    work = sum(map(bool, map(_WORK_LINK.match, links))) + sum(
+        not _WORK_LINK.match(m.group(1)) for m in map(_TRAILER.fullmatch, lines) if m
+    )
     size = _visible(body)
     in_code = sum(map(_visible, filter(_CODE_LINE.match, lines)))
     return {
@@ -161,6 +182,9 @@ def features(text: str | None) -> dict[str, float]:
         "links": len(links),
         "hosts": len(hosts) / len(links) if links else 0.0,
         "link_text": sum(map(_visible, links)) / size if size else 0.0,
+        "running": len(rest) / len(links) if links else 0.0,
+        "running_function_words": sentences / len(rest) if rest else 0.0,
+        "work_links": work / len(links) if links else 0.0,
         "separators": len(_SEPARATOR.findall(plain)) / n if n else 0.0,
         "tags": len(_TAG.findall(plain)) / n if n else 0.0,
         "function_words": function / (n + len(han)) if n else 0.0,
@@ -175,7 +199,9 @@ def kind(measures: dict[str, float], lang: str | None = None, limits: dict[str,
     table = limits or LIMITS
     at = table.get(re.split("[-_]", (lang or "").lower(), maxsplit=1)[0]) or table.get("") or Limits()
     m = measures
-    if m["links"] >= at.links and m["hosts"] >= at.hosts and m["link_text"] >= at.link_text:
+    sentences = m["running_function_words"] > at.function_words
+    listed = m["link_text"] >= (at.sentence_link_text if sentences else at.link_text) and m["running"] <= at.running
+    if m["links"] >= at.links and listed and m["work_links"] <= at.work_links:
         return "links"
     if m["words"] >= at.words // 2 and m["tags"] >= at.tags:
         return "tags"

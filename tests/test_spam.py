@@ -25,3 +25,22 @@ def test_repeated_code_and_test_data_are_no_stuffing():
 
 def test_line_removed_and_added_counts_once():
     assert body_lines("-  a b\n+ a b\n+a b\n- c") == ["a b", "a b", "c"]
+
+
+def test_link_lists_of_any_number_of_hosts():
+    assert judged("\n".join(f"https://shop.example/cheap-watch-{i}" for i in range(100))) == "links"
+    assert judged('<a href="/shop?p=1">cheap watches</a>\n' * 30) == "links"
+    for n in (30, 300, 3000):
+        rows = [f"[url=http://h{i % 30}.example]sleep mask[/url]" for i in range(n)]
+        assert judged("Fix the table\n\n" + "\n".join(rows)) == "links", n
+
+
+def test_change_notes_with_links_are_no_link_lists():
+    trailers = "\n".join(f"Link: https://forge.example/drain/{i}" for i in range(9))
+    assert judged(f"Gather in one place\n\n{trailers}") is None
+    notes = "* The napkin was read twice, so it was kept. ([#{0}](https://forge.example/a/issues/{0}))"
+    assert judged("\n".join(map(notes.format, range(9)))) is None
+    assert judged("\n".join(f"[#{i}](https://forge.example/a/issues/{i})" for i in range(50))) is None
+    lock = 'join@^2.{0}:\n  resolved "https://registry.example/join/-/join-{0}.tgz#0d6f"\n  integrity 45a6{0}'
+    assert judged("\n".join(map(lock.format, range(20)))) is None
+    assert judged("No change is expected for them. See\n" + "\n".join(f"https://docs.example/page/{c}" for c in "abcd")) is None
