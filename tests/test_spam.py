@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from segloom.llm.spam import body_lines, features, kind
+from segloom.llm.spam import body_lines, features, kind, language
 
 
 def judged(text: str, lang: str | None = "en") -> str | None:
-    return kind(features(text), lang)
+    return kind(features(text, lang), language(lang, text))
 
 
 def test_stuffing_by_repeated_lines():
@@ -44,3 +44,12 @@ def test_change_notes_with_links_are_no_link_lists():
     lock = 'join@^2.{0}:\n  resolved "https://registry.example/join/-/join-{0}.tgz#0d6f"\n  integrity 45a6{0}'
     assert judged("\n".join(map(lock.format, range(20)))) is None
     assert judged("No change is expected for them. See\n" + "\n".join(f"https://docs.example/page/{c}" for c in "abcd")) is None
+
+
+def test_function_words_are_those_of_the_language():
+    places = "Los Angeles hotels, Las Vegas hotels, La Jolla hotels, " * 12
+    for lang in ("en", "EN", "en-x", None, "und"):
+        assert judged(places, lang) == "keywords", lang
+    assert language("ZH-x", "") == "zh" and language("und", "Это не то, что было у нас") == "ru"
+    assert language(None, "Cela ne se fait pas dans le canal, et la page est une copie de la table") == "fr"
+    assert judged("Les hôtels de la côte et les hôtels de la ville sont dans les mains de la ville.\n" * 9, "fr") is None
