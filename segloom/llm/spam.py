@@ -54,7 +54,12 @@ _LINK = re.compile(
 )
 _MARKUP = re.compile(r"</?a\b[^>]*>|\[/?url[^\]]*\]|https?://[^\s)\]\"'>|]+", re.I)
 _WORD = re.compile(r"[^\W_]+")
-_HAN = re.compile(r"[一-鿿]")
+# Scripts without blanks: Chinese characters, of which each is a word, and kana, Thai, Lao, Tibetan, Burmese and Khmer.
+_IDEOGRAPHS = "\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U000323af"
+_UNSPACED = "\u3041-\u30ff\u31f0-\u31ff\uff66-\uff9f\u0e01-\u0eff\u0f40-\u0fbc\u1000-\u109f\u1780-\u17d3"
+_HAN = re.compile(f"[{_IDEOGRAPHS}]")
+_RUN = re.compile(f"[{_IDEOGRAPHS}{_UNSPACED}]")
+_PART = re.compile(f"[{_IDEOGRAPHS}]|([{_UNSPACED}]+)|[^\\W_{_IDEOGRAPHS}{_UNSPACED}]+")
 _FUNCTION_CHARACTER = re.compile(f"[{FUNCTION_CHARACTERS}]")
 _CYRILLIC = re.compile(r"[а-яё]")
 _TAG = re.compile(r"(?:^|\s)#[^\W\d_]\w*|(?:^|\s)#\d+[^\W\d]\w*")
@@ -160,6 +165,17 @@ def _visible(text: str) -> int:
     return len("".join(text.split()))
 
 
+def words_of(text: str) -> list[str]:
+    """Runs of letters and digits; in scripts without blanks Chinese characters, and pairs of neighbouring other ones."""
+    if not _RUN.search(text):
+        return _WORD.findall(text)
+    words = []
+    for m in _PART.finditer(text):
+        run = m.group()
+        words += [run[i : i + 2] for i in range(len(run) - 1)] if m.group(1) and len(run) > 1 else [run]
+    return words
+
+
 def language(lang: str | None, text: str | None) -> str:
     """The language as ``FUNCTION_WORDS`` names it, or ``zh``.
 
@@ -190,15 +206,12 @@ def features(text: str | None, lang: str | None = None) -> dict[str, float]:
     links = [m.group() for m in _LINK.finditer(body)]
     hosts = {m.group(1).lower() for m in _URL.finditer(body)}
     plain = _MARKUP.sub(" ", body)
-    words = [w for w in _WORD.findall(plain.lower())]
+    words = words_of(plain.lower())
     named = [w for w in words if not w.isdigit()]
     n = len(named)
     counts, pairs = Counter(named), Counter(zip(named, named[1:], strict=False))
-    han = _HAN.findall(plain)
-    function = sum(map(counts.__getitem__, counts.keys() & own)) + sum(
-        c in FUNCTION_CHARACTERS for c in han
-    )
-    rest = _WORD.findall(_LINK.sub(" ", body).lower())
+    function = sum(map(counts.__getitem__, counts.keys() & own)) + len(_FUNCTION_CHARACTER.findall(plain))
+    rest = words_of(_LINK.sub(" ", body).lower())
     sentences = sum(w in own for w in rest)
     work = sum(map(bool, map(_WORK_LINK.match, links))) + sum(
         not _WORK_LINK.match(m.group(1)) for m in map(_TRAILER.fullmatch, lines) if m
@@ -219,7 +232,7 @@ def features(text: str | None, lang: str | None = None) -> dict[str, float]:
         "work_links": work / len(links) if links else 0.0,
         "separators": len(_SEPARATOR.findall(plain)) / n if n else 0.0,
         "tags": len(_TAG.findall(plain)) / n if n else 0.0,
-        "function_words": function / (n + len(han)) if n else 0.0,
+        "function_words": function / n if n else 0.0,
         "code": len(_CODE.findall(plain)) / n if n else 0.0,
         "code_lines": in_code / size if size else 0.0,
         "digits": sum(map(bool, map(_DIGIT.search, words))) / len(words) if words else 0.0,

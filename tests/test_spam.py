@@ -53,3 +53,11 @@ def test_function_words_are_those_of_the_language():
     assert language("ZH-x", "") == "zh" and language("und", "Это не то, что было у нас") == "ru"
     assert language(None, "Cela ne se fait pas dans le canal, et la page est une copie de la table") == "fr"
     assert judged("Les hôtels de la côte et les hôtels de la ville sont dans les mains de la ville.\n" * 9, "fr") is None
+
+
+def test_scripts_without_blanks():
+    assert judged("".join(f"{a}手表{b}手机壳{a}旅游" for a in ("便宜", "最好", "免费") for b in ("打折", "优惠")) * 40, "zh") == "keywords"
+    assert judged("格安スマホケース激安スマホケース通販スマホケース" * 30, "ja") == "keywords"
+    assert judged("นาฬิการาคาถูกซื้อนาฬิกา" * 60, "th") == "keywords"
+    assert judged("修复缓存在并发读取时偶尔返回旧数据的问题，同时补充单元测试，更新文档中关于配置项的说明。", "zh") is None
+    assert features("便宜手表")["words"] == 4
