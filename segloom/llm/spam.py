@@ -62,7 +62,12 @@ _RUN = re.compile(f"[{_IDEOGRAPHS}{_UNSPACED}]")
 _PART = re.compile(f"[{_IDEOGRAPHS}]|([{_UNSPACED}]+)|[^\\W_{_IDEOGRAPHS}{_UNSPACED}]+")
 _FUNCTION_CHARACTER = re.compile(f"[{FUNCTION_CHARACTERS}]")
 _CYRILLIC = re.compile(r"[а-яё]")
-_TAG = re.compile(r"(?:^|\s)#[^\W\d_]\w*|(?:^|\s)#\d+[^\W\d]\w*")
+#: Tags, also without blanks between; no anchors, numbers of issues, colours or directives of the C preprocessor.
+_TAG = re.compile(
+    r"(?<![\w&/])(?!#(?:include|define|undef|ifn?def|endif|if|elif|else|pragma|error|warning|(?:end)?region)\b)"
+    r"(?!#(?=[a-f]*\d)(?:[\da-f]{3,4}|[\da-f]{6}|[\da-f]{8})\b)(?:#\d*[^\W\d]\w*)+",
+    re.I,
+)
 _SEPARATOR = re.compile(r"[,;|·•/#@–—]| - ")
 _CODE = re.compile(r"[(){}\[\]=<>\"_+*&%$\\`^~]|;$", re.M)
 #: A line of code or data: a comment, a statement, markup, a ``name: value`` or a ``name = value``.
@@ -216,6 +221,7 @@ def features(text: str | None, lang: str | None = None) -> dict[str, float]:
     work = sum(map(bool, map(_WORK_LINK.match, links))) + sum(
         not _WORK_LINK.match(m.group(1)) for m in map(_TRAILER.fullmatch, lines) if m
     )
+    tagged = sum(not w.isdigit() for t in _TAG.findall(plain.lower()) for w in words_of(t))
     size = _visible(body)
     in_code = sum(map(_visible, filter(_CODE_LINE.match, lines)))
     return {
@@ -231,7 +237,7 @@ def features(text: str | None, lang: str | None = None) -> dict[str, float]:
         "running_function_words": sentences / len(rest) if rest else 0.0,
         "work_links": work / len(links) if links else 0.0,
         "separators": len(_SEPARATOR.findall(plain)) / n if n else 0.0,
-        "tags": len(_TAG.findall(plain)) / n if n else 0.0,
+        "tags": tagged / n if n else 0.0,
         "function_words": function / n if n else 0.0,
         "code": len(_CODE.findall(plain)) / n if n else 0.0,
         "code_lines": in_code / size if size else 0.0,

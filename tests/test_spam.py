@@ -61,3 +61,15 @@ def test_scripts_without_blanks():
     assert judged("นาฬิการาคาถูกซื้อนาฬิกา" * 60, "th") == "keywords"
     assert judged("修复缓存在并发读取时偶尔返回旧数据的问题，同时补充单元测试，更新文档中关于配置项的说明。", "zh") is None
     assert features("便宜手表")["words"] == 4
+
+
+def test_tags_written_in_any_way():
+    names = ("shoes hats bags coats belts scarves gloves socks boots shirts jeans dresses rings watches "
+             "lamps mugs mats tents").split()
+    for joined in (",", "", " ", ";", " | "):
+        assert judged(joined.join("#" + x for x in names)) == "tags", joined
+    assert judged(" ".join(f"#new_york_{x}" for x in names)) == "tags"
+    assert judged("".join(f"#{x}便宜" for x in names), "zh") == "tags"
+    assert judged("\n".join(f"#define {x.upper()} {i}" for i, x in enumerate(names))) is None
+    assert judged("\n".join(f"see #{i} and docs/{x}#{x}" for i, x in enumerate(names))) != "tags"
+    assert judged("\n".join(f"#{i}a{i}b{i}c" for i in range(9) for _ in "ab")) is None
