@@ -12,11 +12,16 @@ from pyspark.sql import functions as F
 
 from segloom.session import cut
 
-# Letters that look like Latin ones, by script, each string beside its Latin letters.
+# Letters that look alike, by script, each string beside the letters of another script, Latin ones or not.
 LOOKALIKES = {
-    "Cyrillic": ("аеорсухѕіјһԁԛԝѵӏАВЕКМНОРСТУХЅІЈԚԜҮ", "aeopcyxsijhdqwvlABEKMHOPCTYXSIJQWY"),
-    "Greek": ("ονρϲϳΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹ", "ovpcjABEZHIKMNOPTYXC"),
-    "Armenian": ("օսհ", "ouh"),
+    "Cyrillic": ("аеорсухѕіјһԁԛԝѵӏАВЕКМНОРСТУХЅІЈԚԜҮӀѴүԌӕӔәӘөӨӡӠћ", "aeopcyxsijhdqwvlABEKMHOPCTYXSIJQWYIVyGæÆəƏɵƟʒƷħ"),
+    "Greek": ("ονρϲϳΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹαιυγβΘ", "ovpcjABEZHIKMNOPTYXCaiuyßƟ"),
+    "Greek and Cyrillic": ("ΓΠΦΨκτφψ", "ГПФѰктфѱ"),
+    "Old Cyrillic": ("Ѳѳ", "Ɵɵ"),
+    "Armenian": ("օսհոզցյՕՏՍԼ", "ouhnqgjOSUL"),
+    "Cherokee": ("ᎠᎡᎢᎥᎩᎪᎫᎬᎳᎷᎻᎽᏀᏂᏃᏏᏒᏔᏕᏙᏚᏞᏟᏢᏦᏧᏳᏴᎱᎾ", "DRTiyAJEWMHYGhZbRWSVSLCPKdGBΓƟ"),
+    "Coptic": ("ⲎⲔⲘⲚⲞⲢⲤⲦⲨⲬⲟⲣⲥⲄⲠⲪ", "HKMNOPCTYXopcΓΠΦ"),
+    "Lisu": ("ꓐꓑꓓꓔꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴ", "BPDTGKJCZFMNLSRVHWXYAEIOU"),
 }
 # Format characters that have a visible form, as ranges of code points.
 _SHOWN = ((0x600, 0x605), (0x6DD, 0x6DD), (0x70F, 0x70F), (0x890, 0x891), (0x8E2, 0x8E2), (0x110BD, 0x110CD))
