@@ -68,10 +68,9 @@ def line_words(spark, sf_dir):
 
 
 def partition_scan(spark, sf_dir):
-    """The lines of the partition with the smallest number."""
+    """The lines of every partition."""
     lines = pick(table(spark, sf_dir, "partition_lines"), pid="pid", line="dataset", line_id="line_id")
-    first = lines.agg(F.min("pid")).scalar()
-    return lines.where(F.col("pid") == first).select("line_id", "line").distinct()
+    return lines.select("pid", "line_id", "line").distinct()
 
 
 def corpus_charset(spark, sf_dir):
