@@ -15,6 +15,7 @@ from segloom.functions.columns import pick
 from segloom.operators import anneal, codelen, costs, counts, prune
 from segloom.operators.lattice import explain_lattice, search_words, segment
 from segloom.operators.model import Model, Settings
+from segloom.operators.occurrences import random_counts, transitions_of
 from segloom.operators.seed import chunk_segments, random_segments
 from segloom.operators.training import train_step, without_deregistered
 from segloom.plans.trainer import TrainConfig, Trainer
@@ -104,10 +105,9 @@ def seed_random_segments(spark, sf_dir):
 
 
 def seed_random_controlled(spark, sf_dir):
-    """Random segments whose steps are all allowed; a single letter isn't checked."""
-    found = random_segments(words(spark, sf_dir), 5, 1, 1, sorted(FORBIDDEN))
-    steps = counts.transitions(found.where(F.length("word") > 1), 5)
-    return steps.groupBy("from_state", "to_state").agg(F.sum("freq").alias("freq"))
+    """Steps of random segments, one for each occurrence, which are all allowed; single letters are left out."""
+    several = words(spark, sf_dir).where(F.length("word") > 1)
+    return transitions_of(random_counts(several, Settings(5, 1, 1, forbidden=FORBIDDEN)))
 
 
 # Counts
