@@ -245,14 +245,15 @@ def substrings(word: Column, boundary: bool = False) -> Column:
     return F.array_distinct(F.flatten(each))
 
 
-def _with_edges(words: DataFrame, model: Model) -> DataFrame:
-    """Words with the lexicon entries of their substrings, by shuffles; as many as substrings times states."""
+def with_edges(words: DataFrame, model: Model, lexicon: DataFrame | None = None) -> DataFrame:
+    """Words with the entries of the model's or another lexicon of their substrings, by shuffles; as many as substrings times states."""
+    lexicon = model.lexicon if lexicon is None else lexicon
     each = words.select("word").where(F.length("word") > 0).distinct()
     parts = each.select("word", F.explode(substrings(F.col("word"), model.settings.has_word_boundary)).alias("morph"))
-    edges = parts.join(model.lexicon, "morph").groupBy("word").agg(
-        F.collect_list(F.struct("morph", "state", "freq")).alias("_edges")
+    edges = parts.join(lexicon, "morph").groupBy("word").agg(
+        F.collect_list(F.struct(*lexicon.columns)).alias("_edges")
     )
-    none = F.array().cast("array<struct<morph:string,state:int,freq:bigint>>")
+    none = F.array().cast(edges.schema["_edges"].dataType)
     return words.join(edges, "word", "left").withColumn("_edges", F.coalesce("_edges", none))
 
 
@@ -278,7 +279,7 @@ def search_words(
     joined = size > broadcast_entries
     lexicon: dict = {}
     if joined:
-        words = _with_edges(words, model)
+        words = with_edges(words, model)
     else:
         lexicon = _lexicon_dict(tuple(r) for r in model.lexicon.select("morph", "state", "freq").collect())
     shared = spark.sparkContext.broadcast((tables, lexicon))

@@ -18,14 +18,18 @@ from pyspark.sql import functions as F
 
 from segloom.functions.draws import key_bits, key_draw, occurrence_keys, word_keys
 from segloom.operators.counts import BOUNDARY
-from segloom.operators.model import Settings
+from segloom.operators.model import Model, Settings
 
 #: Occurrences of a word in a row at most.
 BLOCK = 1 << 14
+#: Words of more letters are long.
+LONG = 100
 #: Tasks for each core.
 TASKS = 4
 #: Characters of the occurrences that a kernel handles at once.
 CHUNK = 1 << 15
+#: Occurrences of long words at once.
+LEAST = 64
 #: Different counts that a kernel holds before it hands them on.
 HELD = 1_000_000
 
@@ -33,18 +37,21 @@ COUNTS = "morph string, state int, to_state int, freq bigint"
 _PA_COUNTS = pa.schema([("morph", pa.string()), ("state", pa.int32()), ("to_state", pa.int32()), ("freq", pa.int64())])
 
 
-def blocks(words: DataFrame) -> DataFrame:
-    """``word``, ``first``, ``n``: runs of at most BLOCK occurrences, spread over the tasks of a shuffle.
+def blocks(words: DataFrame, whole: bool = False) -> DataFrame:
+    """``word``, ``first``, ``n``: runs of at most BLOCK occurrences or ``whole`` words, spread over the tasks of a shuffle.
 
     The number of tasks follows the cores, as the rows are too small to tell the work behind them.
     """
     spark = words.sparkSession
-    several = words.where("word <> '' AND n > 0").select(
-        "word", "n", F.explode(F.expr(f"sequence(0L, (n - 1) div {BLOCK})")).alias("_block")
-    )
+    runs = F.lit(0).cast("bigint") if whole else F.explode(F.expr(f"sequence(0L, (n - 1) div {BLOCK})"))
+    several = words.where("word <> '' AND n > 0").select("word", "n", runs.alias("_block"))
     first = F.col("_block") * BLOCK
-    rows = several.select("word", first.alias("first"), F.least(F.lit(BLOCK), F.col("n") - first).alias("n"))
-    return rows.repartition(TASKS * spark.sparkContext.defaultParallelism, "word", "first")
+    rows = several.select("word", first.alias("first"), (F.col("n") if whole else F.least(F.lit(BLOCK), F.col("n") - first)).alias("n"))
+    tasks = TASKS * spark.sparkContext.defaultParallelism
+    # Long words take as many steps for one as for many, so they go to few tasks.
+    long = F.pmod(F.xxhash64("word", "first"), F.lit(max(1, tasks // 8)))
+    key = F.when(F.length("word") > LONG, long).otherwise(F.xxhash64("word", "first"))
+    return rows.repartition(tasks, key)
 
 
 class Counts:
@@ -105,13 +112,20 @@ def by_length(batch: pa.RecordBatch) -> Iterator[tuple[list[str], np.ndarray, np
         yield [words[i] for i in at], first[at], many[at]
 
 
-def chunks(first: np.ndarray, many: np.ndarray, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The word's place and the number of each occurrence, so many at once that their characters are about CHUNK."""
-    most, ends = max(1, CHUNK // size), np.cumsum(many)
-    for at in range(0, int(ends[-1]), most):
+def chunks(
+    first: np.ndarray, many: np.ndarray, sizes: np.ndarray, chars: int = CHUNK
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The word's place and the number of each occurrence, so many at once that they have about ``chars`` characters.
+
+    ``sizes``: of the words, from the longest. Of long words there are LEAST occurrences at once.
+    """
+    ends, at = np.cumsum(many), 0
+    while at < ends[-1]:
+        most = max(LEAST, chars // int(sizes[np.searchsorted(ends, at, "right")]))
         number = np.arange(at, min(at + most, int(ends[-1])))
         which = np.searchsorted(ends, number, "right")
         yield which, first[which] + number - (ends - many)[which]
+        at += most
 
 
 def satisfiable(settings: Settings, size: int) -> bool:
@@ -220,7 +234,7 @@ def random_counts(
                     raise ValueError(f"transition control allows no states for words of {size} letters")
                 keys = word_keys(seed, "segment", epoch, texts)
                 chances = word_keys(seed, "random", chance_epoch, texts)
-                for which, number in chunks(first, many, size):
+                for which, number in chunks(first, many, np.full(len(texts), size)):
                     if fraction is not None:
                         mine = key_draw(occurrence_keys(chances, which, number), 0) < fraction
                         which, number = which[mine], number[mine]
@@ -233,6 +247,29 @@ def random_counts(
     return blocks(words).mapInArrow(kernel, COUNTS)
 
 
+def model_of(counted: DataFrame, settings: Settings, **more) -> Model:
+    """The model of added rows of COUNTS; states and steps are few and are collected."""
+    n, freq = settings.num_state, {}
+    for r in transitions_of(counted).collect():
+        freq[r.from_state, r.to_state] = r.freq
+    steps = [(a, b, freq.get((a, b), 0)) for a in range(n) for b in range(n)]
+    # The start counts once a word, other states as often as a step leads there.
+    states = [(s, sum(v for (a, b), v in freq.items() if (b if s else a) == s)) for s in range(n)]
+    spark = counted.sparkSession
+    return Model(
+        settings,
+        counted.where("morph IS NOT NULL").select("morph", "state", "freq"),
+        spark.createDataFrame(states, "state int, freq bigint"),
+        spark.createDataFrame(steps, "from_state int, to_state int, freq bigint"),
+        **more,
+    )
+
+
+def added(counted: DataFrame) -> DataFrame:
+    """Rows of COUNTS of several tasks, added."""
+    return counted.groupBy("morph", "state", "to_state").agg(F.sum("freq").alias("freq"))
+
+
 def transitions_of(counted: DataFrame) -> DataFrame:
     """``from_state``, ``to_state``, ``freq`` of the steps that occur, from rows of COUNTS."""
     steps = counted.where("morph IS NULL").select(F.col("state").alias("from_state"), "to_state", "freq")

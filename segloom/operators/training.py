@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from segloom.functions.draws import draw
+from segloom.operators.annealed import annealed_counts
 from segloom.operators.counts import BOUNDARY
 from segloom.operators.lattice import BROADCAST_ENTRIES, search_words
 from segloom.operators.model import Model
-from segloom.operators.seed import random_segments
+from segloom.operators.occurrences import random_counts
 
 
 def word_of(segment: Column) -> Column:
@@ -60,28 +60,21 @@ def train_step(
     return without_deregistered(found.where("segment IS NOT NULL AND cost > 0"), deregistered)
 
 
-def epoch_segments(
+def epoch_counts(
     words: DataFrame,
     model: Model,
     temperature: float = 0.0,
     fraction: float = 0.0,
     seed: int = 0,
     epoch: int = 0,
-    key: str = "word",
     deregistered: DataFrame | None = None,
 ) -> DataFrame:
-    """The segmented corpus of one epoch: that share of the words at random, the others searched.
+    """Counts of one epoch over ``word``, ``n``: that share of the occurrences at random, the others searched.
 
-    Which words are segmented at random is drawn for each key, so a share near ``fraction`` is, and
-    no sort of the words is needed.
+    Which ones are segmented at random is drawn for each occurrence, so a share near ``fraction``
+    is, and no sort is needed. Rows of several tasks are to be added.
     """
+    searched = annealed_counts(words, model, temperature, fraction, seed, epoch, deregistered)
     if fraction <= 0:
-        return train_step(words, model, temperature, False, seed, epoch, key, deregistered)
-    s = model.settings
-    chance = draw(seed, "random", epoch, F.col(key)) < fraction
-    searched = train_step(words.where(~chance), model, temperature, False, seed, epoch, key, deregistered)
-    drawn = random_segments(
-        words.where(chance), s.num_state, s.num_prefix, s.num_suffix, sorted(s.forbidden), s.has_word_boundary,
-        seed, epoch + 1, key,
-    )
-    return searched.unionByName(drawn)
+        return searched
+    return searched.unionByName(random_counts(words, model.settings, seed, epoch + 1, fraction, epoch))

@@ -12,8 +12,8 @@ from segloom.functions.draws import draw_value
 from segloom.operators import anneal, prune
 from segloom.operators.lattice import segment
 from segloom.operators.model import Model, Settings
-from segloom.operators.seed import random_segments
-from segloom.operators.training import epoch_segments, train_step
+from segloom.operators.occurrences import added, model_of, random_counts
+from segloom.operators.training import epoch_counts, train_step
 from segloom.session import cut
 from segloom.sources import corpus as corpora
 from segloom.sources.model_store import checkpoint_name, read_model, write_charset, write_model
@@ -73,15 +73,14 @@ class Trained:
 class Trainer:
     """Learns a model from words.
 
-    Each occurrence of a word draws for itself above T = 0 and in random segmentation, as it has a
-    key of its own; at T = 0 without random segmentation, distinct words are searched once, and
-    counted as often as they are there. Tables of each epoch's model are written to the checkpoint
+    Each occurrence of a word draws for itself above T = 0 and in random segmentation; at T = 0
+    without random segmentation, distinct words are searched once, and counted as often as they are
+    there. Counts of each epoch are written to the checkpoint
     folder, so lineage doesn't grow, and lost executors cost one epoch at most.
     """
 
     def __init__(self, spark: SparkSession, config: TrainConfig, seed: int = 0, path: str | None = None, name: str = "model"):
         self.spark, self.config, self.seed, self.path, self.name = spark, config, seed, path, name
-        self.words: DataFrame | None = None
         self.counted: DataFrame | None = None
         self.model: Model | None = None
         self.first_loss: float | None = None
@@ -102,36 +101,21 @@ class Trainer:
         if "n" not in words.columns:
             words = corpora.counted(words)
         self.counted = cut(words.where("word <> ''").select("word", F.col("n").cast("bigint").alias("n")))
-        # An occurrence's key is the word and its number among its equals.
-        self.words = self.counted.select(
-            "word", F.explode(F.sequence(F.lit(1).cast("bigint"), "n")).alias("_i")
-        ).select("word", F.concat_ws("|", "word", "_i").alias("key"))
         chars = self.config.charset or frozenset(r.ch for r in corpora.charset(self.counted).collect())
         if self.model is None:
-            c = self.config
-            first = random_segments(
-                self.words, c.num_state, c.num_prefix, c.num_suffix, sorted(c.forbidden), c.has_word_boundary,
-                self.seed, 0, "key",
-            )
+            first = random_counts(self.counted, self.config.settings(), self.seed)
             self.model = self._settle(first, chars)
             self.first_loss = self.model.loss()
         self.model = replace(self.model, predefined=chars)
 
-    def _settle(self, segmented: DataFrame, chars: frozenset[str]) -> Model:
-        """The model of a segmented corpus; the corpus is written once, the counts are made from it."""
-        return Model.from_segmented(cut(segmented), self.config.settings(), predefined=chars).settled()
+    def _settle(self, counted: DataFrame, chars: frozenset[str]) -> Model:
+        """The model of an epoch's counts, which are added and written once."""
+        return model_of(cut(added(counted)), self.config.settings(), predefined=chars)
 
     def epoch(self, epoch: int, epochs: int, temperature: float, deregistered: DataFrame | None = None) -> float:
         """One epoch; the model becomes the new one. Gives its loss."""
         fraction = 0.0 if deregistered is not None else anneal.random_fraction(epoch, epochs, self.config.schedule)
-        if temperature <= 0 and fraction <= 0:
-            found = epoch_segments(
-                self.counted, self.model, 0.0, 0.0, self.seed, epoch, "word", deregistered
-            )
-        else:
-            found = epoch_segments(
-                self.words, self.model, temperature, fraction, self.seed, epoch, "key", deregistered
-            )
+        found = epoch_counts(self.counted, self.model, temperature, fraction, self.seed, epoch, deregistered)
         self.model = self._settle(found, self.model.predefined)
         return self.model.loss()
 
