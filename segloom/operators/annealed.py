@@ -26,7 +26,7 @@ from segloom.operators.occurrences import COUNTS, HELD, Counts, blocks, chunks
 #: A lexicon of more entries is joined, not broadcast. An entry takes some 50 bytes in a worker, more with many states.
 SHARED_ENTRIES = 1_500_000
 #: Characters of the occurrences that are searched at once.
-CHUNK = 1 << 13
+CHUNK = 1 << 15
 #: Characters of the words that a kernel prepares at once.
 HELD_CHARS = 1 << 17
 #: Cells from which on they are sorted by a network.
@@ -187,8 +187,7 @@ def pick(ways: np.ndarray, cells: int, temperature: float, finite: bool, draws)
         return best, np.take_along_axis(ways, best[None], axis=0)[0]
     window = min(window, size)
     bits = np.int64((1 << (size - 1).bit_length()) - 1)
-    keys = np.minimum(ways, FAR).view(np.int64)
-    keys &= ~bits
+    keys = (ways if finite else np.minimum(ways, FAR)).view(np.int64) & ~bits
     keys |= np.arange(size).reshape(-1, *[1] * (ways.ndim - 1))
     rows, spare = list(keys.view(np.float64)), np.empty(ways.shape[1:])
     # With few cells, the calls would take longer than the sort.
@@ -228,11 +227,12 @@ def _search_chunk(
     sizes, offset = emissions.sizes[which], emissions.offset[which]
     one = which[0] == which[-1]
     longest = int(sizes[0])
-    cost = np.full((longest + 1, count, inner), np.inf)
-    taken = np.zeros((longest + 1, count, inner), np.int16)
+    # Occurrences are the last axis, so that each step of numpy goes over many of them.
+    cost = np.full((longest + 1, inner, count), np.inf)
+    taken = np.zeros((longest + 1, inner, count), np.int16)
 
     def draws(slots: np.ndarray, rows: int):
-        return lambda: key_draw(keys[:rows, None], slots)
+        return lambda: key_draw(keys[:rows], slots)
 
     for e in range(1, longest + 1):
         bs = begins(e, tables.boundary)
@@ -241,24 +241,25 @@ def _search_chunk(
         rows = int(np.searchsorted(-sizes, -e, "right"))
         # All occurrences of one word have the same emissions.
         emitted = emissions.cost[(e - 1 - bs)[:, None], offset[None, : 1 if one else rows] + bs[:, None]]
+        emitted = np.ascontiguousarray(emitted.transpose(0, 2, 1))
         # Candidates in the order of previous state, then previous place; only the start has state 0.
         zero = int(bs[0] == 0)
         later = bs[zero:]
-        ways = np.empty((zero + inner * len(later), rows, inner))
+        ways = np.empty((zero + inner * len(later), inner, rows))
         if zero:
-            ways[0] = step[0] + emitted[0]
+            ways[0] = step[0][:, None] + emitted[0]
         if len(later):
-            before = cost[later, :rows].transpose(2, 0, 1)[:, :, :, None]
-            part = ways[zero:].reshape(inner, len(later), rows, inner)
-            np.add(before, step[1:, None, None, :], out=part)
+            before = cost[later, :, :rows].transpose(1, 0, 2)[:, :, None]
+            part = ways[zero:].reshape(inner, len(later), inner, rows)
+            np.add(before, step[1:, None, :, None], out=part)
             part += emitted[zero:]
-        slots = e * n + np.arange(1, n - 1)
-        taken[e, :rows], cost[e, :rows] = pick(ways, (n - 1) * len(bs), temperature, finite, draws(slots, rows))
+        slots = (e * n + np.arange(1, n - 1))[:, None]
+        taken[e, :, :rows], cost[e, :, :rows] = pick(ways, (n - 1) * len(bs), temperature, finite, draws(slots, rows))
     every = np.arange(count)
-    ends = (cost[sizes, every] + last).T[:, :, None]
-    best, value = pick(ends, inner, temperature, finite, draws((sizes[:, None] + 1) * n + n - 1, count))
-    good = np.isfinite(value[:, 0]) & (value[:, 0] > 0)
-    final = best[:, 0] + 1
+    ends = np.ascontiguousarray((cost[sizes, :, every] + last).T)
+    best, value = pick(ends, inner, temperature, finite, draws((sizes + 1) * n + n - 1, count))
+    good = np.isfinite(value) & (value > 0)
+    final = best + 1
     state, place = final.copy(), sizes.copy()
     pieces = []
     for e in range(longest, 0, -1):
@@ -266,7 +267,7 @@ def _search_chunk(
         if not len(row):
             continue
         bs, s = begins(e, tables.boundary), state[row]
-        i, zero = taken[e][row, s - 1].astype(np.int64), int(bs[0] == 0)
+        i, zero = taken[e][s - 1, row].astype(np.int64), int(bs[0] == 0)
         later = bs[zero:] if len(bs) > zero else bs
         start = (i == 0) & bool(zero)
         p, k = np.divmod(np.maximum(i - zero, 0), len(later))
